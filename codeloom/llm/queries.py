@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import docpairs, provenance
+from codeloom.llm import credentials, docpairs, packing, provenance, splitting
 from codeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +28,34 @@ def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return docpairs.pairs(table(spark, sf, "nodes"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, sf, "nodes")).select("node_id", "line_number").distinct()
+
+
+def p3_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.redact(table(spark, sf, "nodes"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_pieces(spark, sf).select("node_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.source_pieces(table(spark, sf, "nodes"), table(spark, sf, "size_limits"))
+
+
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    capacity = packing.capacity_of(table(spark, sf, "size_limits"))
+    return packing.pack(table(spark, sf, "documents"), "doc_id", "text", capacity)
+
+
+def p8_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.measure(table(spark, sf, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p2_found, p2_pairs)
+    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p5_found, p5_pieces, p8_packed, p8_sizes)
 }
 
 ORACLE: dict[str, str] = {}
