@@ -32,8 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Items in a shard, about.
 SHARD_ITEMS = 20_000
 #: Groups of large items in a shard; items up to this share of the capacity are small.
-GROUPS = 32
-SMALL = 1 / 12
+GROUPS = 128
+SMALL = 1 / 4
 
 _ENCODINGS: dict = {}
 

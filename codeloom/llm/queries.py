@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import credentials, docpairs, packing, provenance, splitting
+from codeloom.llm import credentials, docpairs, neighbours, packing, provenance, setjoin, splitting
 from codeloom.llm.common import table
+from codeloom.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,40 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.source_pieces(table(spark, sf, "nodes"), table(spark, sf, "size_limits"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = setjoin.similar_pairs(table(spark, sf, "function_bodies"), "id", "tokens", 0.85, 50)
+    return pairs.select("id_a", "id_b")
+
+
+def p6_links(spark: SparkSession, sf: str) -> DataFrame:
+    return setjoin.links(table(spark, sf, "function_bodies"), "id", "tokens", 0.85, 50)
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(neighbours.usable(table(spark, sf, "code_vectors"), "vec_id", "embedding", 128))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _vectors(spark, sf)
+    near = neighbours.search(vectors, vectors, "vec_id", 5).where(F.col("cosine") >= 0.84)
+    return near.select(
+        F.least("query", "neighbour").alias("vec_a"), F.greatest("query", "neighbour").alias("vec_b")
+    ).distinct()
+
+
+def p7_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _vectors(spark, sf)
+    return neighbours.search(vectors.where(F.col("vec_id") % 20 == 0), vectors, "vec_id", 5)
+
+
+def p7_recall(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _vectors(spark, sf)
+    queries = vectors.where(F.col("vec_id") % 20 == 0)
+    return neighbours.recall(
+        neighbours.search(queries, vectors, "vec_id", 5), neighbours.exhaustive(queries, vectors, "vec_id", 5)
+    )
+
+
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     capacity = packing.capacity_of(table(spark, sf, "size_limits"))
     return packing.pack(table(spark, sf, "documents"), "doc_id", "text", capacity)
@@ -55,7 +90,7 @@ def p8_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p5_found, p5_pieces, p8_packed, p8_sizes)
+    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p5_found, p5_pieces, p6_found, p6_links, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes)
 }
 
 ORACLE: dict[str, str] = {}
