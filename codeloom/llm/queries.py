@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import credentials, docpairs, neighbours, packing, provenance, setjoin, splitting
+from codeloom.llm import credentials, docpairs, leakage, neighbours, packing, provenance, setjoin, splitting
 from codeloom.llm.common import table
 from codeloom.session import cut
 
@@ -88,9 +88,18 @@ def p8_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return packing.measure(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p5_found, p5_pieces, p6_found, p6_links, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes)
+    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p5_found, p5_pieces, p6_found, p6_links, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes, p9_found, p9_items)
 }
 
 ORACLE: dict[str, str] = {}
