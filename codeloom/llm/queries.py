@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import credentials, docpairs, leakage, neighbours, packing, provenance, setjoin, splitting
+from codeloom.llm import credentials, docpairs, leakage, neighbours, packing, provenance, readability, setjoin, splitting
 from codeloom.llm.common import table
 from codeloom.session import cut
 
@@ -97,9 +97,18 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    graded = readability.bands(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+    return graded.select("doc_id", "band")
+
+
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return readability.profile(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p5_found, p5_pieces, p6_found, p6_links, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes, p9_found, p9_items)
+    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p5_found, p5_pieces, p6_found, p6_links, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes, p9_found, p9_items, p10_found, p10_profile)
 }
 
 ORACLE: dict[str, str] = {}
