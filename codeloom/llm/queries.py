@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import credentials, docpairs, leakage, neighbours, packing, provenance, readability, setjoin, splitting
 from codeloom.llm.common import table
+from codeloom.llm.syntax import validity
 from codeloom.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,18 @@ def p3_masked(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.redact(table(spark, sf, "nodes"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.invalid_files(table(spark, sf, "deferred_files"), table(spark, sf, "nodes"))
+
+
+def p4_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.file_errors(table(spark, sf, "deferred_files"), table(spark, sf, "nodes"))
+
+
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.rates(table(spark, sf, "deferred_files"), table(spark, sf, "nodes"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_pieces(spark, sf).select("node_id").distinct()
 
@@ -108,7 +121,7 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p5_found, p5_pieces, p6_found, p6_links, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes, p9_found, p9_items, p10_found, p10_profile)
+    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_errors, p4_rates, p5_found, p5_pieces, p6_found, p6_links, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes, p9_found, p9_items, p10_found, p10_profile)
 }
 
 ORACLE: dict[str, str] = {}

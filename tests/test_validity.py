@@ -1,0 +1,43 @@
+"""Validity of sources: languages, error collection, and the operator over tables."""
+
+import hashlib
+from datetime import datetime
+
+from codeloom.llm.syntax import validity
+from codeloom.session import local_session
+
+GO = 'package a\n\nimport "fmt"\n\ntype T[K comparable] struct {\n\ta, b int\n\tM map[string][]K\n}\n\nfunc (t *T[K]) F(x int, ys ...string) (n int, err error) {\n\tfor i, y := range ys {\n\t\tif v, ok := t.M[y]; ok && len(v) > i {\n\t\t\tfmt.Println(T[int]{a: 1, b: 2}, func() {}, v[1:])\n\t\t}\n\t}\n\tswitch z := any(x).(type) {\n\tcase int, string:\n\t\t_ = z\n\tdefault:\n\t\treturn\n\t}\n\treturn x, nil\n}\n'
+
+
+def test_valid_sources():
+    assert validity.check(GO, "go") == []
+    assert validity.check('{"a": [1, -2.5e3, {"b": null}], "c": "\\u00e9"}', "json") == []
+    assert validity.check("match x:\n    case [a, *_]:\n        pass\n", "python") == []
+    for language in ("go", "json", "python"):
+        assert validity.check("", language) == []
+
+
+def test_every_error_is_kept():
+    go = "package a\n\nfunc f() {\n\tx := := 1\n}\n\n@@ -1 +1 @@\n\nfunc g() {\n\ty = = 2\n}\n"
+    assert {4, 7, 10} <= {line for line, _ in validity.check(go, "go")}
+    assert [line for line, _ in validity.check('{"a": tru,\n "b": 01,\n "c": 1,\n}', "json")] == [1, 2, 4]
+    assert [line for line, _ in validity.check("def f(:\n    pass\n\nx = 1\n\ny = = 2\n", "python")] == [1, 6]
+
+
+def test_a_stray_brace_ends():
+    assert validity.check("}\nint x;\n", "cpp")
+
+
+def test_operator():
+    spark = local_session(2, "2g")
+    at = datetime(2026, 1, 1)
+    sources = {"/r/a.json": "{", "/r/b.json": "{}", "/r/c.json": "x = 1\n", "/r/d.rs": "fn"}
+    nodes = spark.createDataFrame([("FILE", p, s) for p, s in sources.items()] * 2, "kind string, path string, source string")
+    rows = [(p, {"/r/c.json": "Python"}.get(p), hashlib.md5(s.encode()).hexdigest(), "/r", at, at) for p, s in sources.items()]
+    rows += [("/r/c.json", "json", "old", "/r", at, at.replace(year=2025)), ("/r/none.json", "json", "x", "/r", at, at)]
+    deferred = spark.createDataFrame(
+        rows, "path string, language string, content_hash string, repository_path string, spilled_at timestamp, written_at timestamp"
+    )
+    assert [r.path for r in validity.invalid_files(deferred, nodes).collect()] == ["/r/a.json"]
+    rates = {r.language: (r.files, r.unjudged, r.invalid, r.rate) for r in validity.rates(deferred, nodes).collect()}
+    assert rates == {"json": (2, 0, 1, 0.5), "python": (1, 0, 0, 0.0), "rust": (1, 1, 0, None)}
