@@ -3,6 +3,8 @@
 Quoted strings and long tokens of every line are candidates.  One is reported
 
 * for its form (issued keys and tokens, signed tokens, private key blocks),
+* for its randomness alone, if it is no hash, id, digest, path, block of data or
+  value of a harmless name,
 * for the name it is assigned to or the word before it, if it is no placeholder,
   no reference and, unless it is a password, more random than its alphabet and
   length allow by chance, or
@@ -89,13 +91,25 @@ _SPOKEN = re.compile(
 )
 _TRIGGER = re.compile(
     r"pass|pwd|\bpw\b|psw|secret|token|key|cred|auth|bearer|basic |jwt|session|grant|\bpat|_pat|bot|hmac|salt|sign|cookie|hook|dsn|://|-----begin|"
-    r"[a-z0-9+/_-]{20,}|kennwort|client|licen",
+    r"[a-z0-9+/_-]{16,}|[\"'`][^\s\"'`]{16,}[\"'`]|kennwort|client|licen",
     re.I,
 )
 _LOCAL = re.compile(r"^(?:localhost|127(?:\.\d+){3}|0\.0\.0\.0|\[?::1\]?|host\.docker\.internal|[\w-]+\.local(?:host|domain)?)$", re.I)
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
 _UUID = re.compile(r"^\{?[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\}?$")
 _DIGEST = re.compile(r"^(?:sha(?:1|224|256|384|512)|md5|blake[23]\w*)[-:=$]", re.I)
+#: A long token; a run of letters in it that reads like a word; a line of so long a token alone is a block of data.
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_=.$@%\\-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=(-])")
+_WORD_RUN = re.compile(r"[A-Z]?[a-z]{3,}")
+_BLOCK = 40
+#: A quoted string that is no token by its signs, and no address, markup or format.
+_QUOTED = re.compile(r"(?<=[\"'`])(?=[^\"'`]*[!#&*^~?|@$.=;-])[A-Za-z0-9!#&*^~?|@$._=;+-]{16,}(?=[\"'`])")
+#: Keys have up to 512 bits (88 signs in base 64); what is longer and has no name is data.
+_LONGEST = 100
+_PUBLIC = re.compile(r"BEGIN (?:[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE)|\bssh-(?:rsa|ed25519|dss)\b|\becdsa-sha2|;base64,", re.I)
+_URL_PATH = re.compile(r"://[^\s\"'`?#]*$")
+#: The name or word that a token belongs to.
+_NAMED = re.compile(r"([A-Za-z_$][\w$.-]*)[\"'\]]?(?:\s*:\s*&?(?:'\w+\s+)?[A-Za-z][\w<>\[\]?]*)?\s*(?::=|=>|==?|:|,|\s)\s*[(\[]?\s*[\"'`]?$")
 
 
 def entropy(text: str) -> float:
@@ -123,6 +137,36 @@ def is_random(value: str, shortest: int = 16) -> bool:
     return entropy(value) >= RANDOM_SHARE * chance_entropy(n, 64)
 
 
+def is_key_like(value: str) -> bool:
+    """Whether a token with no credential's name beside it is random enough to be one: no hash, id, digest, path or words put together."""
+    kinds = {"d" if c.isdigit() else "l" if c.islower() else "u" for c in value if c.isalnum()}
+    if len(kinds) < 3 or _HEX.match(value) or _UUID.match(value) or _DIGEST.match(value) or is_placeholder(value, names=True):
+        return False
+    return is_random(value) and sum(map(len, _WORD_RUN.findall(value))) <= 0.55 * len(value)
+
+
+def is_harmless(name: str) -> bool:
+    """Whether a name says that its value is no credential."""
+    words = words_of(name)
+    return not {*words, "".join(words[-2:])}.isdisjoint(HARMLESS)
+
+
+def unnamed(line: str) -> list[tuple[int, int, str]]:
+    """Spans of random tokens and quoted strings for which no name and no form speaks."""
+    out = []
+    for m in (*_LONG.finditer(line), *_QUOTED.finditer(line)):
+        value = m.group()
+        if len(value) > _LONGEST or not is_key_like(value) or len(value) >= _BLOCK and not line.replace(value, "").strip(" \t\r\"'`,;+\\()"):
+            continue  # a line of nothing else belongs to a block of data or to a public key
+        if _PUBLIC.search(line) or _URL_PATH.search(line[: m.start()]):
+            continue
+        before = _NAMED.search(line[: m.start()])
+        if before and is_harmless(before.group(1)):
+            continue
+        out.append((m.start(), m.end(), "random"))
+    return out
+
+
 def is_placeholder(value: str, names: bool = False) -> bool:
     """Whether a value only stands for a credential; ``names``: a variable's name counts too."""
     value = value.strip()
@@ -222,6 +266,8 @@ def scan_line(line: str) -> list[tuple[int, int, str]]:
             good = is_random(value) and not is_placeholder(value) and not _UUID.match(value)
         if good and not _ADDRESS.search(value) and "(" not in value and not value.startswith(("$", "//")):
             spans.append((m.start(3), m.start(3) + len(value), "spoken"))
+    known = list(spans)  # the kind that a name or form gives comes before
+    spans += [x for x in unnamed(line) if all(x[1] <= a or b <= x[0] for a, b, _ in known)]
     return _merge(spans)
 
 
