@@ -6,7 +6,8 @@ minified files, data dumps in the form of code, and copies of third-party code.
 The first three are judged file by file from the composition of the text, in
 one pass without a shuffle.  Copies are found among the remaining files with an
 inverted index of rare lines: every line of some length is hashed together with
-the line before it; it is rare when few different lines follow it, however many
+the line before it; it is rare when few different lines follow it, or few for the
+files that hold it, however many
 copies of that place exist, so a library that makes up a third of the corpus
 stays rare while ``return out;`` does not.  For every file the index gives the
 exact share of its rare lines that other repositories hold too, and how many of
@@ -29,8 +30,9 @@ from codeloom.session import cut
 
 #: Lines shorter than this, stripped, are not indexed.
 LINE_LENGTH = 12
-#: A line that more different lines follow than this is not rare.
-RARE_CONTEXTS = 6
+#: A line that more different lines follow than this is not rare, unless they are at most this share of the files that hold it:
+#: each independently edited copy adds a context, so an absolute bound alone would drop the most copied code.
+RARE_CONTEXTS, CONTEXT_SHARE = 6, 0.5
 #: A file is a copy if one file owns this share of its rare lines, and other repositories hold them ...
 OWNED = 0.4
 #: ... or if other repositories hold this share of them, most of which differ in their owner ...
@@ -219,17 +221,17 @@ def containment(inspected: DataFrame) -> DataFrame:
     repository holds too, ``owner_shared`` the most of these that one file owns
     (the file with the least key among the holders of a line).
     """
-    lines = inspected.where(F.size("h") > 0).select(
+    lines = inspected.where(F.size("h") > 0).dropDuplicates(["node_id", "h", "ctx"]).select(
         F.xxhash64("node_id").alias("file"),
         F.xxhash64("repo").alias("repo"),
         F.explode(F.arrays_zip("h", "ctx")).alias("x"),
     ).select("file", "repo", F.col("x.h").alias("h"), F.col("x.ctx").alias("ctx"))
     index = (
         lines.groupBy("h", "ctx")
-        .agg(F.min("file").alias("owner"), F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+        .agg(F.min("file").alias("owner"), F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.count("*").alias("held"))
         .groupBy("h")
-        .agg(F.count("*").alias("n"), F.min("owner").alias("owner"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where(F.col("n") <= RARE_CONTEXTS)
+        .agg(F.count("*").alias("n"), F.sum("held").alias("held"), F.min("owner").alias("owner"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .where((F.col("n") <= RARE_CONTEXTS) | (F.col("n") <= CONTEXT_SHARE * F.col("held")))
         .select("h", F.when(F.col("lo") != F.col("hi"), F.col("owner")).alias("owner"))
     )
     held = lines.select("file", "h").join(index, "h").groupBy("file", "owner").agg(F.count("*").alias("n"))

@@ -1,0 +1,27 @@
+"""The most copied code stays indexed although its copies are edited."""
+
+import random
+
+from codeloom.llm.provenance import flag_files, judge
+from codeloom.session import local_session
+
+
+def test_edited_copies_of_a_hot_library():
+    spark = local_session(2, "2g")
+    rng = random.Random(7)
+    words = "amber birch cedar delta ember fjord grove heron inlet jetty knoll larch maple north olive pines quill ridge stone tulip".split()
+    shapes = ["{} = {}({})", "if {} > {}: {}()", "{}.{}({}, 1)", "return {} + {} * {}", "for {} in {}.{}:", "del {}[{}].{}", "assert {} is not {}, {}", "with {}({}) as {}:"]
+
+    def line() -> str:
+        return rng.choice(shapes).format(*("_".join(rng.sample(words, rng.randint(1, 4))) for _ in range(3)))
+
+    library, own = [line() for _ in range(40)], "\n".join(line() for _ in range(40))
+    rows = []
+    for n in range(150):
+        lines = [line() if rng.random() < 0.08 else x for x in library]
+        rows.append((f"file:/r{n}/a.py", "FILE", f"/r{n}/a.py", f"/r{n}", "\n".join(lines)))
+    assert judge("own.py", own) is None and judge("a.py", rows[0][-1]) is None
+    rows += [("file:/r0/own.py", "FILE", "/r0/own.py", "/r0", own)] * 3
+    nodes = spark.createDataFrame(rows, "id string, kind string, path string, repository_path string, source string")
+    flagged = {r.node_id for r in flag_files(nodes).collect()}
+    assert flagged == {r[0] for r in rows if not r[0].endswith("own.py")}
