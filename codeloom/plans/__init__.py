@@ -1 +1,6 @@
-"""See the modules."""
+"""The registered queries; importing a module of this package registers its queries."""
+
+from codeloom.plans import lookup, metrics, relations, vectors
+from codeloom.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "lookup", "metrics", "relations", "vectors"]

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/codeloom-checkpoints"
-
 
 def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
-    """A single-machine session for tests and benchmarks."""
+    """A single-machine session for tests and benchmarks; its checkpoints go when their data is no longer used."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("codeloom")
@@ -21,16 +19,25 @@ def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, else a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or os.environ.get("CODELOOM_CHECKPOINTS", LOCAL_CHECKPOINTS)
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on one machine may go without; it gets a folder of its own.
+    Elsewhere a machine-local folder would lose data with its executor, so a
+    missing setting is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = named or os.environ.get("CODELOOM_CHECKPOINTS")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="codeloom-checkpoints-")
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -39,8 +46,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     Unlike a local checkpoint the written partitions survive the loss of an
     executor, so a later stage can always read them again.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(spark))
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=eager)
