@@ -130,7 +130,7 @@ def recency_half_life(age_days, least: float = 1.0, most: float = 1.5, half_life
 
 def recency_linear(age_days) -> Column:
     """1 today, 0 after a year; 0 for an unknown age."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age_days / 365)), F.lit(0.0))
+    return F.when(age_days.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - age_days / 365)))
 
 
 def rerank(query: str, *, name, path, lexical_rank, lexical_score, vector_rank, vector_score, centrality, tokens, age_days, weights=None) -> Column:

@@ -145,7 +145,8 @@ def static_embedding(words, dim: int = 128) -> Column:
 
 def token_estimate(text) -> Column:
     """A quarter of the characters, rounded up, at least 1; 0 for an empty text."""
-    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.ceil(F.length(text) / 4), F.lit(1))).cast("int")
+    size = F.length(text)
+    return F.when(size == 0, 0).when(size > 0, F.greatest(F.ceil(size / 4), F.lit(1))).cast("int")
 
 
 def entropy(text) -> Column:

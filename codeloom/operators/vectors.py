@@ -24,9 +24,14 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 for different lengths, empty, missing or all-zero vectors, and for values that are not finite."""
-    raw = dot(a, b) / (norm(a) * norm(b))
-    good = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm(a) > 0) & (norm(b) > 0)
-    return F.when(good & raw.isNotNull() & ~F.isnan(raw), raw).otherwise(0.0)
+    return cosine_by(a, norm(a), b, norm(b))
+
+
+def cosine_by(a: Column, a_norm: Column, b: Column, b_norm: Column) -> Column:
+    """:func:`cosine` where the lengths of the vectors are known, as for many pairs of few vectors."""
+    raw = F.try_divide(dot(a, b), a_norm * b_norm)
+    good = (F.size(a) == F.size(b)) & raw.isNotNull() & ~F.isnan(raw)
+    return F.when(good, raw).otherwise(0.0)
 
 
 class VectorTable:
@@ -67,9 +72,9 @@ class VectorTable:
         Queries are a stated set, collected to one array value a row; a query of
         another length scores 0 everywhere.
         """
-        base = self.where(**equal).select(F.col(self.key).alias("id"), F.col(self.vector).alias("v"))
-        asked = queries.select("query", F.col(self.vector).alias("q"))
-        scored = asked.join(base).select("query", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+        base = self.where(**equal).select(F.col(self.key).alias("id"), F.col(self.vector).alias("v"), norm(F.col(self.vector)).alias("vn"))
+        asked = queries.select("query", F.col(self.vector).alias("q"), norm(F.col(self.vector)).alias("qn"))
+        scored = asked.join(base).select("query", "id", F.round(cosine_by(F.col("q"), F.col("qn"), F.col("v"), F.col("vn")), 6).alias("score"))
         if least is not None:
             scored = scored.where(F.col("score") >= least)
         return top_k(scored, "query", "score", "id", k)
