@@ -86,6 +86,10 @@ def lexical(query: str, name, source, path) -> Column:
     return F.least(base + fuzzy(q, n) * 0.15 + prefix * 0.1, F.lit(1.0))
 
 
+def _within(parts, text: str) -> Column:
+    return F.exists(parts, lambda x: F.lit(text).contains(x))
+
+
 def proximity(path, best: Sequence[str], boost: float = 1.0) -> Column:
     """How near a path is to the best ones: the first of them that relates decides."""
     low = F.lower(path)
@@ -95,7 +99,7 @@ def proximity(path, best: Sequence[str], boost: float = 1.0) -> Column:
         bl = b.lower()
         same = (low == bl) | low.startswith(bl) | F.lit(bl).startswith(low)
         near = paths.module(path) == (b.rpartition("/")[0] or "root")
-        touches = F.exists(parts, lambda x, bl=bl: F.lit(bl).contains(x))
+        touches = _within(parts, bl)
         out = F.when(same, boost) if out is None else out.when(same, boost)
         out = out.when(near, boost * 0.8).when(touches, boost * 0.6)
     return F.lit(0.0) if out is None else out.otherwise(0.0)
