@@ -73,7 +73,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
-    near = neighbours.search(vectors, vectors, "vec_id", 5).where(F.col("cosine") >= 0.84)
+    near = neighbours.search(None, vectors, "vec_id", 5).where(F.col("cosine") >= 0.84)
     return near.select(
         F.least("query", "neighbour").alias("vec_a"), F.greatest("query", "neighbour").alias("vec_b")
     ).distinct()
