@@ -67,6 +67,10 @@ def p6_links(spark: SparkSession, sf: str) -> DataFrame:
     return setjoin.links(table(spark, sf, "function_bodies"), "id", "tokens", 0.85, 50)
 
 
+def p6_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return setjoin.recall(table(spark, sf, "function_bodies"), "id", "tokens", 0.85, 50)
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return cut(neighbours.usable(table(spark, sf, "code_vectors"), "vec_id", "embedding", 128))
 
@@ -121,7 +125,7 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_errors, p4_rates, p5_found, p5_pieces, p6_found, p6_links, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes, p9_found, p9_items, p10_found, p10_profile)
+    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_errors, p4_rates, p5_found, p5_pieces, p6_found, p6_links, p6_recall, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes, p9_found, p9_items, p10_found, p10_profile)
 }
 
 ORACLE: dict[str, str] = {}
