@@ -28,7 +28,7 @@ from codeloom.session import cut
 #: Share of the pairs at the threshold that the deepest neighbourhoods still find; more similar pairs are found more surely.
 TARGET_RECALL = 0.9999
 #: Independent trees.
-TREES = 32
+TREES = 24
 #: A neighbourhood of more classes than this is deepened.
 CROWDED = 24
 #: Classes that one task compares with as many others.
@@ -47,8 +47,8 @@ def depths(threshold: float, trees: int = TREES, recall: float = TARGET_RECALL)
 def _permutations(m: int) -> tuple[np.ndarray, np.ndarray]:
     if m not in _PERMUTATIONS:
         rng = np.random.default_rng(7)
-        odd = rng.integers(0, 1 << 63, m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        _PERMUTATIONS[m] = odd, rng.integers(0, 1 << 63, m, dtype=np.uint64)
+        odd = rng.integers(0, 1 << 31, m, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        _PERMUTATIONS[m] = odd, rng.integers(0, 1 << 32, m, dtype=np.uint32)
     return _PERMUTATIONS[m]
 
 
@@ -58,13 +58,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_keys(hashes: np.ndarray, trees: int, first: int, deepest: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each tree the keys of a set's short and long prefix; ``hashes`` are those of its values."""
+    """For each tree the keys of a set's short and long prefix; ``hashes`` are those of its values, of 32 bits."""
     a, b = _permutations(trees * deepest)
     with np.errstate(over="ignore"):
         h = hashes[:, None] * a[None, :]
         h += b
-        h ^= h >> np.uint64(32)
-        least = _mix(h.min(axis=0)).reshape(trees, deepest)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        least = _mix(h.min(axis=0).astype(np.uint64)).reshape(trees, deepest)
         key = np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
         short = key
         for d in range(deepest):
@@ -102,11 +103,11 @@ def _forest(trees: int, first: int, deepest: int):
             for i, items in enumerate(batch.column(2).to_pylist()):
                 if len(known) > 500_000:
                     known.clear()
-                h = np.empty(len(items), dtype=np.uint64)
+                h = np.empty(len(items), dtype=np.uint32)
                 for j, x in enumerate(items):
                     v = known.get(x)
                     if v is None:
-                        v = known[x] = xxhash.xxh3_64_intdigest(x)
+                        v = known[x] = xxhash.xxh32_intdigest(x)
                     h[j] = v
                 short[i], long_[i] = prefix_keys(h, trees, first, deepest)
             at = pa.array(np.repeat(np.arange(rows), trees))
@@ -133,7 +134,7 @@ def similar_classes(distinct: DataFrame, threshold: float, trees: int = TREES) -
     first, deepest = depths(threshold, trees)
     forest = cut(distinct.select("class", "n", "items").mapInArrow(_forest(trees, first, deepest), "class binary, n int, short bigint, long bigint"))
     size = forest.groupBy("short").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    near = forest.join(size, "short").select("class", "n", F.when(F.col("size") <= CROWDED, F.col("short")).otherwise(F.col("long")).alias("key"), (F.col("size") > CROWDED).alias("deep"))
+    near = forest.join(size.hint("shuffle_hash"), "short").select("class", "n", F.when(F.col("size") <= CROWDED, F.col("short")).otherwise(F.col("long")).alias("key"), (F.col("size") > CROWDED).alias("deep"))
     held = near.where("deep").groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK)
     placed = near.join(held, "key", "left").select("class", "n", "key", F.coalesce(F.ceil(F.col("held") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
     candidates = _meet(placed, placed, threshold).distinct()
