@@ -120,7 +120,9 @@ def mechanical_share(lines: list[str]) -> tuple[float, int]:
         first = [_DIGITS.findall(x) for x in own]
         width = min(map(len, first))
         for k in range(width):
-            values = [int(x[k][:15]) for x in first]
+            if max(len(x[k]) for x in first) > 1000:
+                continue  # no counter
+            values = [int(x[k]) for x in first]
             steps = Counter(b - a for a, b in zip(values, values[1:]))
             step, often = steps.most_common(1)[0]
             if step and often >= 0.8 * (len(own) - 1):
