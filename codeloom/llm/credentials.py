@@ -66,8 +66,8 @@ _PLACEHOLDER = re.compile(
     r"replace\b.*|todo\b.*|fixme\b.*|none|null|nil|undefined|unset|empty|unknown|test(?:ing|er|user|pass(?:word)?)?\d{0,4}!?|secret\d{0,3}|"
     r"passw(?:or|0r)?d\d{0,3}|pass\d{0,3}|token|key|foo\w*|bar|baz|redacted|removed|hidden|masked|not[-_ ]?set|default|admin\d{0,3}|root|guest|user\d{0,3}|"
     r"postgres|mysql|redis|fake\b.*|mock\b.*|demo\d*|n/?a|tbd|123\d*|qwerty\w*|abc\d*|hunter2|letmein|here)$|"
-    r"<[^<>]*>|\$\{|\{\{|\$\(|%\(|#\{|\[[A-Z_ ]+\]|\bYOUR[_-]|_HERE\b|EXAMPLE|(?i:placeholder|change-?me|dummy|redacted|not-set|paste-)|"
-    r"[xX]{6,}|\*{4,}|\.{3,}|…|0{8,}|(?i:0123456789|abcdefghijklm)",
+    r"<[^<>]*>|\$\{|\{\{|\$\(|%\(|#\{|\[[A-Z_ ]+\]|(?-i:\bYOUR[_-]|_HERE\b|EXAMPLE)|(?i:placeholder|change-?me|dummy|redacted|not-set|paste-)|"
+    r"[xX]{6,}|\*{4,}|\.{3,}|…|^\W*(?:0{8,}\W*)+$|(?i:0123456789|abcdefghijklm)",
     re.I,
 )
 _REFERENCE = re.compile(
@@ -95,6 +95,7 @@ _TRIGGER = re.compile(
     re.I,
 )
 _LOCAL = re.compile(r"^(?:localhost|127(?:\.\d+){3}|0\.0\.0\.0|\[?::1\]?|host\.docker\.internal|[\w-]+\.local(?:host|domain)?)$", re.I)
+_BASE32 = re.compile(r"^[A-Z2-7]+=*$")
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
 _UUID = re.compile(r"^\{?[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\}?$")
 _DIGEST = re.compile(r"^(?:sha(?:1|224|256|384|512)|md5|blake[23]\w*)[-:=$]", re.I)
@@ -134,7 +135,14 @@ def is_random(value: str, shortest: int = 16) -> bool:
     turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
     if turns < 0.25 * n or len({*kinds} - {"p"}) < 2:
         return False
-    return entropy(value) >= RANDOM_SHARE * chance_entropy(n, 64)
+    return entropy(value) >= RANDOM_SHARE * chance_entropy(n, alphabet_of(value))
+
+
+def alphabet_of(value: str) -> int:
+    """The size of the least usual alphabet that holds a token: base 32, 36 (digits and one case) or 64."""
+    if _BASE32.match(value):
+        return 32
+    return 36 if not (any(map(str.isupper, value)) and any(map(str.islower, value))) else 64
 
 
 def is_key_like(value: str) -> bool:
