@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeloom.llm.common import EXTENSIONS, SPELLINGS
+from codeloom.llm.common import SPELLINGS
 
 #: A cut at a natural boundary fills at least this share of a piece.
 FILL = 0.5
@@ -61,39 +61,42 @@ def split(items: DataFrame, text: str, limit: str, overlap: str, keys: list[str]
     where it would cut a character (less if the piece before is shorter).
     Dropping these bytes and joining the pieces gives the item back.  Items
     within the limit, null or empty ones, and those without a limit give no row.
-    An overlap that leaves less than half of the limit is reduced to half of it,
-    and a limit under eight bytes counts as eight.  Repeated rows give repeated
-    pieces; other columns are ignored.
+    An overlap that leaves no room for a character under the limit is an error.
+    Repeated rows give repeated pieces; other columns are ignored.
     """
     b = items.select(
         *keys,
         to_bytes(F.col(text)).alias("_b"),
-        F.greatest(F.col(limit), F.lit(8)).cast("int").alias("_limit"),
-        F.greatest(F.coalesce(overlap, F.lit(0)), F.lit(0)).cast("int").alias("_want"),
+        F.col(limit).cast("int").alias("_limit"),
+        F.greatest(F.coalesce(overlap, F.lit(0)), F.lit(0)).cast("int").alias("_overlap"),
     ).where(F.length("_b") > F.col("_limit"))
-    b = b.withColumn("_overlap", F.least("_want", F.floor(F.col("_limit") / 2).cast("int") - SLACK))
-    b = b.withColumn("_overlap", F.greatest("_overlap", F.lit(0)))
     room = F.col("_limit") - F.col("_overlap") - F.when(F.col("_overlap") > 0, SLACK).otherwise(0)
-    b = b.withColumn("_room", F.greatest(room, F.lit(4))).withColumn("_pattern", cut_pattern(F.col("_room")))
-    b = b.withColumn("_cores", F.expr("regexp_extract_all(_b, _pattern, 0)"))
+    none = F.raise_error(F.concat(F.lit("no room for a character under a limit of "), F.col("_limit"), F.lit(" with an overlap of "), F.col("_overlap")))
+    b = b.withColumn("_room", F.when(room >= 4, room).otherwise(none.cast("int"))).withColumn("_pattern", cut_pattern(F.col("_room")))
+    b = b.withColumn("_cores", F.expr("regexp_extract_all(_b, _pattern, 0)")).drop("_b")
+    # What comes before each core: where it starts, and its last bytes, carried from core to core.
     b = b.withColumn(
-        "_starts",
-        F.expr("aggregate(_cores, array(0), (a, x) -> array_append(a, element_at(a, -1) + length(x)), a -> slice(a, 1, size(_cores)))"),
+        "_before",
+        F.expr(
+            f"""aggregate(_cores, named_struct('at', 0, 't', '', 'all', cast(array() as array<struct<at:int,t:string>>)),
+            (a, x) -> named_struct('at', a.at + length(x), 't', right(concat(a.t, right(x, _overlap + {SLACK})), _overlap + {SLACK}),
+            'all', array_append(a.all, named_struct('at', a.at, 't', a.t))), a -> a.all)"""
+        ),
     )
-    exploded = b.select(*keys, "_b", "_overlap", F.posexplode(F.arrays_zip("_starts", "_cores")).alias("_i", "_p"))
-    at, core = F.col("_p._starts"), F.col("_p._cores")
+    exploded = b.select(*keys, "_overlap", F.posexplode(F.arrays_zip("_before", "_cores")).alias("_i", "_p"))
+    at, tail, core = F.col("_p._before.at"), F.col("_p._before.t"), F.col("_p._cores")
     back = F.least(F.col("_overlap"), at)
     # The look-back starts on a character: step over at most three continuation bytes.
-    lead = lambda k: F.substring(F.col("_b"), at - back + 1 - k, F.lit(1))
+    lead = lambda k: F.substring(tail, F.length(tail) - back + 1 - k, F.lit(1))
     inside = lambda k: lead(k).rlike("[\\x80-\\xBF]") & (at - back - k > 0)
     steps = F.when(back <= 0, 0).when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
-    sized = exploded.withColumn("_at", at).withColumn("_core", core).withColumn("_back", back + steps)
+    sized = exploded.select(*keys, "_i", at.alias("_at"), tail.alias("_tail"), core.alias("_core"), (back + steps).alias("_back"))
     return sized.select(
         *keys,
         (F.col("_i") + 1).alias("piece"),
         (F.col("_at") - F.col("_back")).cast("bigint").alias("start_byte"),
         F.col("_back").cast("int").alias("repeated"),
-        to_text(F.substring(F.col("_b"), F.col("_at") - F.col("_back") + 1, F.length("_core") + F.col("_back"))).alias("text"),
+        to_text(F.concat(F.when(F.col("_back") > 0, F.right("_tail", F.col("_back"))).otherwise(""), "_core")).alias("text"),
     )
 
 
@@ -101,32 +104,31 @@ def canonical(lang: Column, path: Column | None = None) -> Column:
     """The canonical name of a language column, in SQL."""
     spelled = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     low = F.lower(F.trim(lang))
-    return F.coalesce(spelled[low], low)
+    return F.coalesce(F.try_element_at(spelled, low), low)
 
 
 def with_limits(nodes: DataFrame, limits: DataFrame, purpose: str = "source_piece") -> DataFrame:
-    """Nodes with ``max_size`` and ``overlap_size`` of their language, or of the row without one.
+    """Nodes with ``max_size`` and ``overlap_size`` of their language, in any spelling, or of the row without one.
 
-    ``limits`` holds one row for each language, so it is collected into two
-    literal maps (a few languages; a longer table is a usage error).
+    Of several rows of a language the least limit counts.  The table of limits
+    is joined; a node without any limit has nulls.
     """
-    rows = limits.where(F.col("purpose") == purpose).select("lang", "max_size", "overlap_size").limit(len(set(EXTENSIONS.values())) + 200).collect()
-    sizes = lambda k: F.create_map(*[x for r in rows if r["lang"] for x in (F.lit(r["lang"].lower()), F.lit(r[k]).cast("bigint"))])
-    rest = next((r for r in rows if r["lang"] is None), None)
-    out = nodes
-    for k in ("max_size", "overlap_size"):
-        default = F.lit(rest[k] if rest else None).cast("bigint")
-        own = sizes(k)[canonical(F.col("lang"))] if any(r["lang"] for r in rows) else F.lit(None).cast("bigint")
-        out = out.withColumn(k, F.coalesce(own, default))
-    return out
+    rows = limits.where(F.col("purpose") == purpose).select(canonical(F.col("lang")).alias("_lang"), "max_size", "overlap_size")
+    first = F.min(F.struct(F.col("max_size").cast("bigint").alias("max_size"), F.col("overlap_size").cast("bigint").alias("overlap_size")))
+    own = rows.where(F.col("_lang").isNotNull()).groupBy("_lang").agg(first.alias("_own"))
+    rest = rows.where(F.col("_lang").isNull()).agg(first.alias("_rest"))  # one row
+    joined = nodes.withColumn("_lang", canonical(F.col("lang"))).join(own, "_lang", "left").join(F.broadcast(rest))
+    limit = F.coalesce("_own", "_rest")
+    return joined.withColumn("max_size", limit["max_size"]).withColumn("overlap_size", limit["overlap_size"]).drop("_lang", "_own", "_rest")
 
 
 def source_pieces(nodes: DataFrame, limits: DataFrame) -> DataFrame:
     """``node_id, piece, start_byte, repeated, text`` of FILE, FUNCTION and METHOD sources above their limit.
 
-    A node delivered twice gives its pieces once.
+    A node delivered twice gives its pieces once, one delivered with several
+    sources those of the greatest.
     """
     kept = nodes.where(F.col("kind").isin("FILE", "FUNCTION", "METHOD") & F.col("source").isNotNull() & F.col("id").isNotNull())
     sized = with_limits(kept.select(F.col("id").alias("node_id"), "lang", "source"), limits)
-    over = sized.where(F.octet_length("source") > F.col("max_size")).dropDuplicates(["node_id"])
+    over = sized.where(F.octet_length("source") > F.col("max_size")).groupBy("node_id", "max_size", "overlap_size").agg(F.max("source").alias("source"))
     return split(over, "source", "max_size", "overlap_size", ["node_id"])
