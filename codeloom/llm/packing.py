@@ -149,11 +149,11 @@ def pack(items: DataFrame, key: str, text: str, capacity: int, path: str = RANKS
     """
     kind = items.select(key).dtypes[0][1]
     sized = measure(items, key, text, path)
-    # Spark counts before the shuffle; a shard is a hash range of keys, so no key or source can be hot.
+    # A shard is a hash range of rows, by key and place in the scan, so neither null nor repeated keys can be hot.
     n = items.count()
     shards = max(1, -(-n // shard_items))
     rest = F.when(F.col("tokens") > capacity, F.col("tokens") % capacity).otherwise(F.col("tokens"))
-    placed = sized.withColumn("shard", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(shards)).cast("bigint"))
+    placed = sized.withColumn("shard", F.pmod(F.xxhash64(F.col(key).cast("string"), F.monotonically_increasing_id()), F.lit(shards)).cast("bigint"))
     placed = placed.withColumn("rest", rest.cast("bigint"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
