@@ -101,6 +101,10 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), "doc_id", "text", capacity)
 
 
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, sf), packing.capacity_of(table(spark, sf, "size_limits")))
+
+
 def p8_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return packing.measure(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -119,13 +123,17 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return graded.select("doc_id", "band")
 
 
+def p10_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return readability.agreement(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
 def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return readability.profile(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_errors, p4_rates, p5_found, p5_pieces, p6_found, p6_links, p6_recall, p7_found, p7_neighbours, p7_recall, p8_packed, p8_sizes, p9_found, p9_items, p10_found, p10_profile)
+    for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_errors, p4_rates, p5_found, p5_pieces, p6_found, p6_links, p6_recall, p7_found, p7_neighbours, p7_recall, p8_fill, p8_packed, p8_sizes, p9_found, p9_items, p10_agreement, p10_found, p10_profile)
 }
 
 ORACLE: dict[str, str] = {}

@@ -187,16 +187,14 @@ def language(words: list[str]) -> str | None:
 def english_prose(text: str) -> tuple[list[list[str]], int, int]:
     """The English sentences of a text's prose, their words, and the words of all its prose."""
     own: list[list[str]] = []
-    total = 0
-    for p in paragraphs(text):
-        parts = sentences(p)
-        words = [w for s in parts for w in s]
-        total += len(words)
-        main = language(words)
-        for s in parts:
-            if (language(s) if len(s) >= 8 else main) in ("en", None) and main in ("en", None):
-                own.append(s)
-    return own, sum(map(len, own)), total
+    split = [sentences(p) for p in paragraphs(text)]
+    words = [[w for s in parts for w in s] for parts in split]
+    whole = language([w for ws in words for w in ws])
+    for parts, ws in zip(split, words):
+        main = language(ws) or whole  # a short paragraph may hold no frequent word
+        if main == "en":
+            own += [s for s in parts if len(s) < 8 or language(s) in ("en", None)]
+    return own, sum(map(len, own)), sum(map(len, words))
 
 
 def _at(ordered: np.ndarray, share: float) -> float:
@@ -319,6 +317,8 @@ class Grader:
     trees: list[Tree]
     cuts: tuple[float, float, float] = (1.5, 2.5, 3.5)
     agreement: float = float("nan")
+    rated: int = 0
+    by_source: bool = True
 
     def grade(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
@@ -361,7 +361,8 @@ def train(x: np.ndarray, bands: np.ndarray, source: list[str], w: np.ndarray) ->
     """Trees on all rated documents, with cuts calibrated on folds of unseen sources."""
     names = {s: i % FOLDS for i, s in enumerate(sorted({s or "" for s in source}))}
     fold = np.array([names[s or ""] for s in source])
-    if len(set(fold)) < 2 or min(np.bincount(fold, minlength=2)) < 5:
+    by_source = len(names) >= 2
+    if not by_source:  # one source has no unseen one; the result says so
         fold = np.arange(len(bands)) % FOLDS
     unseen = np.zeros(len(bands))
     for k in set(fold.tolist()):
@@ -369,19 +370,20 @@ def train(x: np.ndarray, bands: np.ndarray, source: list[str], w: np.ndarray) ->
         if rest.sum() and (~rest).sum():
             unseen[~rest] = boost(x[rest], bands[rest], w[rest], TREES // 2).grade(x[~rest])
     model = boost(x, bands, w)
+    model.by_source, model.rated = by_source, len(bands)
     model.cuts = calibrated_cuts(unseen, bands, w)
     model.agreement = float(np.average((np.searchsorted(np.array(model.cuts), unseen, side="right") + 1) == np.round(bands), weights=w))
     return model
 
 
 def _describe(cols: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"doc_id": [], "source": [], "words": [], "x": []}
-    for doc, source, text in zip(cols["doc_id"], cols["source"], cols["text"]):
+    out: dict[str, list] = {"doc_id": [], "source": [], "words": [], "x": [], "band": [], "ratings": []}
+    for doc, source, text, band, ratings in zip(*(cols[c] for c in ("doc_id", "source", "text", "band", "ratings"))):
         if not text:
             continue
         parts, own, total = english_prose(text)
         if parts and own >= 20:
-            for k, v in zip(out, (doc, source, own, features(parts))):
+            for k, v in zip(out, (doc, source, own, features(parts), band, ratings)):
                 out[k].append(v)
     return out
 
@@ -403,12 +405,11 @@ def _band_with(model: Grader):
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> Grader:
-    """Train on the rated English documents, at most ``most`` of them, chosen by a hash of their id.
+def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> Grader | None:
+    """Train on the rated English documents, at most ``most`` of them, chosen by a hash of their id; None if there are none.
 
     A document's target is the mean of its ratings (blanks and bands outside
-    1 to 4 left out); those with several ratings weigh more.  Without any rating
-    the grader falls back to a readability formula's grade.
+    1 to 4 left out); those with several ratings weigh more.
     """
     rated = (
         labels.where(F.col("band").between(1, 4) & F.col("doc_id").isNotNull())
@@ -417,16 +418,12 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_RATED) -> Grad
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    texts = documents.select("doc_id", "source", "text").join(rated.select("doc_id"), "doc_id", "left_semi")
-    described = map_columns(texts, _describe, "doc_id bigint, source string, words int, x array<double>")
-    rows = described.join(rated, "doc_id").select("source", "x", "band", "ratings").collect()
-    if len(rows) < 20:
-        formula = Grader(0.0, [])
-        at = FEATURES.index("flesch_kincaid")
-        for cut in (4.5, 8.5, 14.5):  # one step of the formula's grade for each band
-            formula.trees.append(Tree([at, -1, -1], [cut, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0.0, 0.0, 1 / RATE]))
-        formula.start = 1.0
-        return formula
+    # The ratings are bounded by ``most``; texts stay where they are.
+    texts = documents.select("doc_id", "source", "text").join(F.broadcast(rated), "doc_id")
+    described = map_columns(texts, _describe, "doc_id bigint, source string, words int, x array<double>, band double, ratings bigint")
+    rows = sorted(described.dropDuplicates(["doc_id"]).select("doc_id", "source", "x", "band", "ratings").collect())  # the same trees each time
+    if not rows:
+        return None
     x = np.array([r["x"] for r in rows], dtype=float)
     return train(x, np.array([r["band"] for r in rows], dtype=float), [r["source"] for r in rows], np.sqrt([float(r["ratings"]) for r in rows]))
 
@@ -436,15 +433,29 @@ def bands(documents: DataFrame, labels: DataFrame, model: Grader | None = None)
 
     Null and empty texts give no row; ``lang`` is not read.  Repeated rows with
     one id give one; an id with several texts keeps the longest prose.  Ratings
-    of documents that are not there are ignored; extra columns too.
+    of documents that are not there are ignored; extra columns too.  Without any
+    usable rating nothing can be graded, and there are no rows.
     """
     model = model or fit(documents, labels)
+    if model is None:
+        return documents.where(F.lit(False)).select("doc_id", F.lit(0).alias("words"), F.lit(0.0).alias("grade"), F.lit(0).cast("bigint").alias("band"))
     rows = map_columns(
         documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), _band_with(model), "doc_id bigint, words int, grade double, band bigint"
     )
     return rows.groupBy("doc_id").agg(F.max(F.struct("words", "grade", "band")).alias("b")).select("doc_id", "b.words", "b.grade", "b.band")
 
 
+def agreement(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rated, agreement, by_source``: how many documents taught the grader, and how often it agrees with the ratings of sources it has not seen.
+
+    ``by_source`` is false where all rated documents come from one source, so
+    that the folds had to be drawn from it.  Without ratings there is no row.
+    """
+    model = fit(documents, labels)
+    rows = [] if model is None else [(model.rated, round(float(model.agreement), 6), bool(model.by_source))]
+    return documents.sparkSession.createDataFrame(rows, "rated bigint, agreement double, by_source boolean")
+
+
 def profile(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``source, band, documents`` of the corpus."""
     return bands(documents, labels).join(documents.select("doc_id", "source").distinct(), "doc_id").groupBy("source", "band").agg(
