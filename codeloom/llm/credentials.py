@@ -62,7 +62,7 @@ HARMLESS = frozenset(
 WEAK = frozenset("key client license session bot pat master cookie auth grant".split())
 
 _PLACEHOLDER = re.compile(
-    r"^(?:|(.)\1*|change[-_ ]?(?:me|it|this)\W*\d*|dummy\b.*|example\b.*|sample\b.*|placeholder\b.*|(?:your|my|the|some|an?)[-_ ].*|insert\b.*|"
+    r"^(?:|(.)\1*|change[-_ ]?(?:me|it|this)\W*\d*|dummy\b.*|(?-i:[Ee]xample|EXAMPLE)\b.*|sample\b.*|placeholder\b.*|(?:your|my|the|some|an?)[-_ ].*|insert\b.*|"
     r"replace\b.*|todo\b.*|fixme\b.*|none|null|nil|undefined|unset|empty|unknown|test(?:ing|er|user|pass(?:word)?)?\d{0,4}!?|secret\d{0,3}|"
     r"passw(?:or|0r)?d\d{0,3}|pass\d{0,3}|token|key|foo\w*|bar|baz|redacted|removed|hidden|masked|not[-_ ]?set|default|admin\d{0,3}|root|guest|user\d{0,3}|"
     r"postgres|mysql|redis|fake\b.*|mock\b.*|demo\d*|n/?a|tbd|123\d*|qwerty\w*|abc\d*|hunter2|letmein|here)$|"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import credentials, docpairs, leakage, neighbours, packing, provenance, readability, setjoin, splitting
-from codeloom.llm.common import table
+from codeloom.llm.common import SPELLINGS, table
 from codeloom.llm.syntax import validity
 from codeloom.session import cut
 
@@ -136,4 +136,25 @@ QUERIES: dict[str, Query] = {
     for f in (p1_found, p1_profile, p2_found, p2_pairs, p3_found, p3_masked, p4_found, p4_errors, p4_rates, p5_found, p5_pieces, p6_found, p6_links, p6_recall, p7_found, p7_neighbours, p7_recall, p8_fill, p8_packed, p8_sizes, p9_found, p9_items, p10_agreement, p10_found, p10_profile)
 }
 
-ORACLE: dict[str, str] = {}
+_LANG = "CASE lower(trim({0})) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items()) + " ELSE lower(trim({0})) END"
+_UNIT = (
+    "WITH u AS (SELECT vec_id, max(embedding) AS e FROM code_vectors WHERE vec_id IS NOT NULL AND len(embedding) = 128 "
+    "AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0 GROUP BY 1), "
+    "v AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(e, lambda y: y::DOUBLE * y)))) AS e FROM u), "
+    "s AS (SELECT a.vec_id AS q, b.vec_id AS n, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])), 6) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS k FROM s) "
+)
+
+#: SQL for what SQL can say on small tables: sizes against limits, exact set similarity, exact neighbours.
+ORACLE: dict[str, str] = {
+    "p5_found": (
+        f"WITH l AS (SELECT {_LANG.format('lang')} AS lang, max_size FROM size_limits WHERE purpose = 'source_piece') SELECT DISTINCT id AS node_id FROM nodes n "
+        "WHERE kind IN ('FILE', 'FUNCTION', 'METHOD') AND id IS NOT NULL AND strlen(source) > "
+        f"coalesce((SELECT min(max_size) FROM l WHERE l.lang = {_LANG.format('n.lang')}), (SELECT min(max_size) FROM l WHERE l.lang IS NULL))"
+    ),
+    "p6_found": (
+        "WITH s AS (SELECT DISTINCT id, list_sort(list_distinct(list_filter(tokens, lambda t: t IS NOT NULL))) AS t FROM function_bodies WHERE id IS NOT NULL AND len(list_filter(tokens, lambda t: t IS NOT NULL)) >= 50) "
+        "SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.id < b.id AND len(list_intersect(a.t, b.t)) >= 0.85 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))"
+    ),
+    "p7_found": _UNIT + "SELECT DISTINCT least(q, n) AS vec_a, greatest(q, n) AS vec_b FROM r WHERE k <= 5 AND c >= 0.84",
+}
