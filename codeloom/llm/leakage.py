@@ -245,16 +245,43 @@ def verify(item: list[str], names: set[str], words: list[str], met: list[tuple[i
     return found
 
 
+class _Templates(dict):
+    """The templates of the words seen so far, names aside."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = t = template_of(word)
+        return t
+
+
+_TEMPLATES = _Templates()
+
+
 def match(items: Items, text: str) -> list[tuple[int, float, int, int]]:
     """``(item, share, agreeing slots, slots)`` of the items a text carries."""
-    words, names = named_words(text)
-    get = items.index.get
+    words = words_of(text)
+    get, vocabulary = items.index.get, items.vocabulary
+    t = list(map(_TEMPLATES.__getitem__, words))
     hits: dict[int, list[tuple[int, int]]] = {}
-    for window, at in text_windows(words, names, items.vocabulary):
-        for k, i in get(window, ()):
-            hits.setdefault(k, []).append((at, i))
+    a = b = ""  # the two words before, if they are known
+    for at, c in enumerate(t, 1 - WINDOW):
+        if c not in vocabulary:
+            c = ""
+        elif a and b:
+            for k, i in get(f"{a} {b} {c}", ()):
+                hits.setdefault(k, []).append((at, i))
+        a, b = b, c
+    if any(items.names[k] for k in hits):  # only then can a name stand for another
+        low, names = named_words(text)
+        if names and len(low) == len(words):
+            for window, at in text_windows(words, names, vocabulary):
+                for k, i in get(window, ()):
+                    if k in hits:
+                        hits[k].append((at, i))
     found = []
     for k, met in hits.items():
+        met = list(set(met))
         if len(met) * WINDOW < 0.3 * len(items.words[k]):  # too few to cover the share with the words next to them
             continue
         got = verify(items.words[k], items.names[k], words, met)
