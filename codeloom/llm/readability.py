@@ -165,7 +165,7 @@ def sentences(paragraph: str) -> list[list[str]]:
     plain = _MARKUP.sub(lambda m: m.group(1) or m.group(2) or " ", paragraph) if _MARKED.search(paragraph) else paragraph
     parts: list[str] = []
     for piece in _SENTENCE.split(plain):
-        if parts and _ABBREVIATION.search(parts[-1]):
+        if parts and parts[-1].endswith(".") and _ABBREVIATION.search(parts[-1][-12:]):
             parts[-1] += " " + piece
         else:
             parts.append(piece)
@@ -189,11 +189,11 @@ def english_prose(text: str) -> tuple[list[list[str]], int, int]:
     own: list[list[str]] = []
     split = [sentences(p) for p in paragraphs(text)]
     words = [[w for s in parts for w in s] for parts in split]
-    whole = language([w for ws in words for w in ws])
-    for parts, ws in zip(split, words):
-        main = language(ws) or whole  # a short paragraph may hold no frequent word
-        if main == "en":
-            own += [s for s in parts if len(s) < 8 or language(s) in ("en", None)]
+    mains = [language(ws) for ws in words]
+    whole = language([w for ws in words for w in ws]) if None in mains else None
+    for parts, main in zip(split, mains):
+        if (main or whole) == "en":  # a short paragraph may hold no frequent word
+            own += parts if len(parts) == 1 else [s for s in parts if len(s) < 8 or language(s) in ("en", None)]
     return own, sum(map(len, own)), sum(map(len, words))
 
 
