@@ -69,6 +69,9 @@ UPSTREAM = re.compile(
     re.I,
 )
 
+# Lines of licences.
+LEGAL = re.compile(r"\bcopyright\b|\blicen[cs]ed? (?:under|under the)\b|\bSPDX-|\bwithout warranty\b|\ball rights reserved\b|\bpermission is hereby granted\b", re.I)
+
 _BLOCK = re.compile(r"\s*(?:/\*[\s\S]*?\*/|<!--[\s\S]*?-->)")
 _LINE = re.compile(r"\s*(?://|#(?!include|define|if|pragma|\[)|--|;|%)[^\n]*(?:\n|\Z)")
 _SKIP = re.compile(r"\s*(?:#![^\n]*\n|set -[a-z]+\s*\n|<\?php|(['\"])use strict\1;?|@charset[^\n]*\n)")
@@ -80,13 +83,16 @@ _MASK = (1 << 64) - 1
 _DIGITS = re.compile(r"\d+")
 
 
-def leading_comment(source: str) -> str:
-    """The comment a file starts with, after a shebang or the like."""
-    at, parts = 0, []
+def leading_end(source: str) -> int:
+    """Where the comment ends that a file starts with, after a shebang or the like."""
+    at = 0
     while m := _SKIP.match(source, at) or _BLOCK.match(source, at) or _LINE.match(source, at):
-        parts.append(m.group())
         at = m.end()
-    return "\n".join(parts)
+    return at
+
+
+def leading_comment(source: str) -> str:
+    return source[: leading_end(source)]
 
 
 def closing_comment(source: str) -> str:
@@ -194,7 +200,8 @@ def _inspect(cols: dict[str, list]) -> dict[str, list]:
         verdict = judge(path or "", text)
         hashes: dict[int, int] = {}
         if verdict in (None, "vendored"):
-            own = [x for x in map(str.strip, text.split("\n")) if x]
+            # Headers are shared by files that have nothing else in common.
+            own = [x for x in map(str.strip, text[leading_end(text) :].split("\n")) if x and not LEGAL.search(x)]
             each = [h64(x) for x in own] + [7]
             for i, x in enumerate(own):
                 if len(x) >= LINE_LENGTH:
@@ -220,8 +227,11 @@ def containment(inspected: DataFrame) -> DataFrame:
     """``file, rare, shared, owner_shared, share, owned`` of each file with rare lines.
 
     ``rare`` counts its rare lines, ``shared`` those of them that another
-    repository holds too, ``owner_shared`` the most of these that one file owns
-    (the file with the least key among the holders of a line).
+    repository holds too, ``owner_shared`` the most of these that it holds in
+    common with one other file.  Candidates for that file are the owners of its
+    lines (the file with the least key among the holders of a line); where no
+    owner has enough of them, since other files hold some of the lines too, the
+    line sets of the file and of each candidate are intersected exactly.
     """
     lines = inspected.where(F.size("h") > 0).dropDuplicates(["node_id", "h", "ctx"]).select(
         F.xxhash64("node_id").alias("file"),
@@ -236,14 +246,23 @@ def containment(inspected: DataFrame) -> DataFrame:
         .where((F.col("n") <= RARE_CONTEXTS) | (F.col("n") <= CONTEXT_SHARE * F.col("held")))
         .select("h", F.when(F.col("lo") != F.col("hi"), F.col("owner")).alias("owner"))
     )
-    held = lines.select("file", "h").join(index, "h").groupBy("file", "owner").agg(F.count("*").alias("n"))
+    held = cut(lines.select("file", "h").join(index, "h"))
+    owned = held.groupBy("file", "owner").agg(F.count("*").alias("n"))
+    counted = owned.groupBy("file").agg(
+        F.sum("n").alias("rare"),
+        F.sum(F.when(F.col("owner").isNotNull(), F.col("n")).otherwise(0)).alias("shared"),
+        F.max(F.when(F.col("owner").isNotNull(), F.col("n")).otherwise(0)).alias("most"),
+    )
+    open_ = counted.where((F.col("most") < OWNED * F.col("rare")) & (F.col("shared") >= OWNED * F.col("rare")) & (F.col("shared") >= SHARED_LINES)).select("file")
+    candidates = owned.where(F.col("owner").isNotNull() & (F.col("owner") != F.col("file"))).join(open_, "file", "left_semi").select("file", "owner")
+    theirs = held.select(F.col("file").alias("owner"), "h")
+    exact = (
+        held.select("file", "h").join(candidates, "file").join(theirs, ["owner", "h"])
+        .groupBy("file", "owner").agg(F.count("*").alias("n")).groupBy("file").agg(F.max("n").alias("exact"))
+    )
     return (
-        held.groupBy("file")
-        .agg(
-            F.sum("n").alias("rare"),
-            F.sum(F.when(F.col("owner").isNotNull(), F.col("n")).otherwise(0)).alias("shared"),
-            F.max(F.when(F.col("owner").isNotNull(), F.col("n")).otherwise(0)).alias("owner_shared"),
-        )
+        counted.join(exact, "file", "left")
+        .select("file", "rare", "shared", F.greatest("most", F.coalesce("exact", F.lit(0))).alias("owner_shared"))
         .withColumn("share", F.col("shared") / F.col("rare"))
         .withColumn("owned", F.col("owner_shared") / F.col("rare"))
     )
