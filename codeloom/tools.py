@@ -125,6 +125,13 @@ class Tools:
     def vector_search(self, index: vectors.VectorTable, queries: DataFrame, k: int = 10, **equal) -> DataFrame:
         return index.top(queries, k, **equal)
 
+    def vector_search_hybrid(self, index: vectors.VectorTable, queries: DataFrame, words: str, k: int = 10) -> DataFrame:
+        """Cosine and BM25 over names and texts, fused; ``queries`` is ``query, embedding``."""
+        f = self.g.callables.select("id", F.concat_ws(" ", "name", "path", "source").alias("doc"))
+        best = ranking.bm25(f, "id", "doc", words).join(queries.select("query"))
+        second = vectors.top_k(best.select("query", "id", "score"), "query", "score", "id", 3 * k)
+        return vectors.fuse([index.top(queries, 3 * k), second]).where(F.col("rank") <= k)
+
     def vector_index_status(self, index: vectors.VectorTable) -> DataFrame:
         return index.count()
 
@@ -150,6 +157,15 @@ class Tools:
     def get_api_contract(self, scope: Scope) -> DataFrame:
         return context.api_contract(self.g, scope)
 
+    def get_test_context(self, most: int = 20) -> DataFrame:
+        """``path, cost``: the files with most tests, with what reading them is estimated to cost."""
+        tests = lookup.find_tests(self.g).groupBy("path").agg(F.count("*").alias("n"))
+        return tests.orderBy(F.desc("n"), "path").limit(most).select("path", (F.col("n") * 96 + 128).alias("cost"))
+
+    def summarize_module(self) -> DataFrame:
+        """``module, functions, fan_in, fan_out, coupling`` of every folder."""
+        return metrics.analyze_module(self.g)
+
     def estimate_context_cost(self) -> DataFrame:
         return self.g.nodes.groupBy("kind").agg(F.sum(F.coalesce(tx.token_estimate(F.col("source")), F.lit(0))).alias("tokens"))
 
@@ -176,6 +192,13 @@ class Tools:
     def get_repository_stats(self) -> DataFrame:
         return metrics.repository_stats(self.g)
 
+    def list_projects(self) -> DataFrame:
+        return self.g.of_kind("REPOSITORY").select("id", "name", "path")
+
+    def project_status(self, records: DataFrame) -> DataFrame:
+        """``freshness, files`` over all rebuild records."""
+        return self.explain_index_freshness(records).groupBy("freshness").agg(F.count("*").alias("files"))
+
     def list_branches(self) -> DataFrame:
         return context.find_branches(self.g)
 
