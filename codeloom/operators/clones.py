@@ -8,9 +8,15 @@ block) with the blocks of a crowded band spread over tasks.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions import text as tx
+from codeloom.session import cut
 
 #: Classes of one band that a task compares with each other.
 BLOCK = 512
@@ -22,7 +28,32 @@ def classes(bodies: DataFrame, key: str, tokens: str, least: int) -> tuple[DataF
     sets = clean.select("key", F.array_sort(F.array_distinct("t")).alias("items"))
     named = sets.withColumn("class", F.sha1(F.array_join("items", "\x1f"))).distinct()
     distinct = named.groupBy("class").agg(F.first("items").alias("items"))
-    return distinct.withColumn("sig", tx.minhash(F.transform("items", tx.token_hash))), named.select("class", "key").distinct()
+    return signed(distinct), named.select("class", "key").distinct()
+
+
+def signed(distinct: DataFrame) -> DataFrame:
+    """``class, items, sig``: the signatures of :func:`codeloom.functions.text.minhash`, made in batches.
+
+    64 permutations of every token are one product of vectors here; as
+    expressions they would be evaluated one by one.
+    """
+    a, b = (np.array(c, dtype=np.int64) for c in zip(*map(tx.coefficients, range(tx.SLOTS))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            sigs = []
+            for items in batch.column(1).to_pylist():
+                if len(known) > 500_000:
+                    known.clear()
+                for t in items:
+                    if t not in known:
+                        known[t] = int(hashlib.md5(t.encode()).hexdigest()[:15], 16) % tx.PRIME
+                h = np.fromiter((known[t] for t in items), dtype=np.int64, count=len(items))
+                sigs.append(((h[:, None] * a + b) % tx.PRIME).min(axis=0) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, type=pa.list_(pa.int64()))], names=["class", "items", "sig"])
+
+    return distinct.select("class", "items").mapInArrow(run, "class string, items array<string>, sig array<bigint>")
 
 
 def candidates(signed: DataFrame) -> DataFrame:
@@ -38,10 +69,11 @@ def candidates(signed: DataFrame) -> DataFrame:
 
 def similar_classes(bodies: DataFrame, key: str, tokens: str, threshold: float, least: int = 50) -> tuple[DataFrame, DataFrame]:
     """``a, b, estimate, jaccard`` of the similar classes, and their members; the estimate must reach the threshold."""
-    signed, members = classes(bodies, key, tokens, least)
-    left = signed.select(F.col("class").alias("a"), F.col("items").alias("ia"), F.col("sig").alias("sa"))
-    right = signed.select(F.col("class").alias("b"), F.col("items").alias("ib"), F.col("sig").alias("sb"))
-    met = candidates(signed).join(left, "a").join(right, "b").withColumn("estimate", tx.equal_slots(F.col("sa"), F.col("sb")))
+    sketches, members = classes(bodies, key, tokens, least)
+    sketches = cut(sketches)  # read by the bands and from both sides
+    left = sketches.select(F.col("class").alias("a"), F.col("items").alias("ia"), F.col("sig").alias("sa"))
+    right = sketches.select(F.col("class").alias("b"), F.col("items").alias("ib"), F.col("sig").alias("sb"))
+    met = candidates(sketches).join(left, "a").join(right, "b").withColumn("estimate", tx.equal_slots(F.col("sa"), F.col("sb")))
     kept = met.where(F.col("estimate") >= threshold)
     return kept.select("a", "b", F.round("estimate", 6).alias("estimate"), F.round(tx.jaccard(F.col("ia"), F.col("ib")), 6).alias("jaccard")), members
 

@@ -1,18 +1,22 @@
 """Vectors with metadata: upsert, filter, exact top-k, fusion of rankings.
 
 A vector table is one row for each id: of several deliveries the greatest vector
-counts.  Search compares every vector with a few queries by built-in functions
-only: the queries are joined in as columns of one row each, so each vector is
-read once, and only the best of each query are kept (a partial top-k in every
-task, then a merge).
+counts.  Exact search compares a stated set of queries with all vectors in
+blocks of bounded size, one matrix product a block; a block keeps the best of
+each of its queries, and these are merged.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Rows, and queries, that a task compares at once.
+BASE_BLOCK, QUERY_BLOCK = 8_192, 1_024
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -69,17 +73,62 @@ class VectorTable:
     def top(self, queries: DataFrame, k: int, least: float | None = None, **equal) -> DataFrame:
         """``query, id, score, rank``: the k best rows by cosine for each query (``query, embedding``), ties by id.
 
-        Queries are a stated set, collected to one array value a row; a query of
-        another length scores 0 everywhere.
+        Scores are rounded to six digits before they are compared.  A query of
+        another length than a row scores 0 with it.
         """
-        base = self.where(**equal).select(F.col(self.key).alias("id"), F.col(self.vector).alias("v"), norm(F.col(self.vector)).alias("vn"))
-        asked = queries.select("query", F.col(self.vector).alias("q"), norm(F.col(self.vector)).alias("qn"))
-        scored = asked.join(base).select("query", "id", F.round(cosine_by(F.col("q"), F.col("qn"), F.col("v"), F.col("vn")), 6).alias("score"))
+        base = self.where(**equal).select(F.col(self.key).alias("id"), F.col(self.vector).alias("v"))
+        asked = queries.select("query", F.col(self.vector).alias("v"))
+        scored = compared(asked, base, k)
         if least is not None:
             scored = scored.where(F.col("score") >= least)
         return top_k(scored, "query", "score", "id", k)
 
 
+def cosines(a: list, b: list) -> np.ndarray:
+    """Cosines of vectors with vectors, of any lengths, to six digits; 0 where they are not comparable."""
+    out = np.zeros((len(a), len(b)))
+    of = lambda vs, n: [i for i, v in enumerate(vs) if v is not None and len(v) == n]
+    for n in {len(v) for v in a if v is not None and len(v)}:
+        i, j = of(a, n), of(b, n)
+        if not j:
+            continue
+        x, y = (np.array([vs[k] for k in at], dtype=float) for vs, at in ((a, i), (b, j)))
+        with np.errstate(all="ignore"):
+            s = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+        out[np.ix_(i, j)] = np.where(np.isfinite(s), s, 0.0)
+    return np.round(out, 6)
+
+
+def compared(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """``query, id, score``: the best of each block of rows for each query; ``queries`` is ``query, v``, ``base`` is ``id, v``.
+
+    Where both also have a ``label``, rows with a query's own label do not count;
+    a missing label is none's own.
+    """
+    label = ["label"] if "label" in queries.columns else []
+    kinds = dict(queries.dtypes) | dict(base.dtypes)
+    split = lambda df, size: max(1, -(-df.count() // size))
+    rows, asks = split(base, BASE_BLOCK), split(queries, QUERY_BLOCK)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query", "v", *label, own("query", asks).alias("qb"), every(rows).alias("bb"))
+    right = base.select("id", "v", *label, every(asks).alias("qb"), own("id", rows).alias("bb"))
+
+    def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"query": q["query"].iloc[:0], "id": b["id"].iloc[:0], "score": pd.Series(dtype=float)})
+        b = b.sort_values("id", kind="stable")
+        s = cosines(list(q["v"]), list(b["v"]))
+        if label:
+            x, y = q["label"].to_numpy(dtype=object), b["label"].to_numpy(dtype=object)
+            s[(x[:, None] == y[None, :]) & (x != None)[:, None]] = -np.inf  # noqa: E711
+        kept = np.argsort(-s, axis=1, kind="stable")[:, :k]  # of equal ones the least id
+        out = pd.DataFrame({"query": np.repeat(q["query"].to_numpy(), kept.shape[1]), "id": b["id"].to_numpy()[kept.ravel()], "score": np.take_along_axis(s, kept, axis=1).ravel()})
+        return out[np.isfinite(out["score"])]
+
+    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(best, f"query {kinds['query']}, id {kinds['id']}, score double")
+
+
 def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best rows of each group, with their rank; Spark keeps only k rows of a group in each task before it shuffles."""
     order = Window.partitionBy(group).orderBy(F.desc(score), tie)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import vectors as op
 from codeloom.plans.registry import Workspace, query
+from codeloom.session import cut
 
 META = "max(node_id) AS node_id, max(batch_index) AS batch_index, max(model) AS model, max(created_at) AS created_at, max(embedding) AS embedding"
 V = f"v AS (SELECT vec_id, {META} FROM code_vectors WHERE vec_id IS NOT NULL GROUP BY 1)"
@@ -98,12 +99,10 @@ def vector_dimensions(w: Workspace):
 )
 def similar_in_other_projects(w: Workspace):
     """The best in other repositories; a vector without repository belongs to none and counts."""
-    where = w.graph.nodes.select(F.col("id").alias("node_id"), "repository_path")
-    base = table(w).frame.join(where, "node_id", "left").select("vec_id", "embedding", "repository_path")
-    ask = base.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("repository_path").alias("from_repo"))
-    pairs = ask.join(base, ~F.coalesce(F.col("from_repo") == F.col("repository_path"), F.lit(False)))
-    scored = pairs.select("query", F.col("vec_id").alias("id"), F.round(op.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return op.top_k(scored, "query", "score", "id", 5)
+    where = w.graph.nodes.select(F.col("id").alias("node_id"), F.col("repository_path").alias("label"))
+    base = table(w).frame.join(where, "node_id", "left").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    ask = base.where(F.col("id") % 20 == 0).select(F.col("id").alias("query"), "v", "label")
+    return op.top_k(op.compared(ask, base, 5), "query", "score", "id", 5)
 
 
 @query(
@@ -116,6 +115,6 @@ def rank_fusion(w: Workspace):
     """The best fifteen by cosine fused with the same in the order of their ids."""
     from pyspark.sql import Window
 
-    first = table(w).top(asked(w), 15)
+    first = cut(table(w).top(asked(w), 15))  # read twice
     second = first.select("query", "id").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id")))
     return op.fuse([first, second])
