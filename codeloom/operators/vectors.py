@@ -111,8 +111,9 @@ def compared(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     rows, asks = split(base, BASE_BLOCK), split(queries, QUERY_BLOCK)
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query", "v", *label, own("query", asks).alias("qb"), every(rows).alias("bb"))
-    right = base.select("id", "v", *label, every(asks).alias("qb"), own("id", rows).alias("bb"))
+    fresh = [F.col(c).alias(c) for c in ("v", *label)]  # queries may be rows of the same table
+    left = queries.select("query", *fresh, own("query", asks).alias("qb"), every(rows).alias("bb"))
+    right = base.select("id", *fresh, every(asks).alias("qb"), own("id", rows).alias("bb"))
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
