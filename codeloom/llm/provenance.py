@@ -185,7 +185,8 @@ def judge(path: str, source: str) -> str | None:
             return "data"
     elif is_data(source):
         return "data"
-    if not VENDOR_DIRS.isdisjoint(path.split("/")[:-1]) or UPSTREAM.search(head):
+    # A folder's name alone is no evidence; with a notice of rights at the head it is.
+    if UPSTREAM.search(head) or (LEGAL.search(head) and not VENDOR_DIRS.isdisjoint(path.split("/")[:-1])):
         return "vendored"
     return None
 

@@ -66,3 +66,9 @@ def test_defined_results(spark):
     files = rows_of(spark, {"/a/x.py": "x = 1\n"})
     odd = spark.createDataFrame([("n", "FILE", None, None, "\n".join(code(1, 30))), (None, "FILE", "p", "r", "x"), ("e", "FILE", "p", "r", ""), ("z", "FILE", "p", "r", None)], files.schema)
     assert flag_files(files.union(odd)).count() == 0 and flag_files(files.limit(0)).count() == 0
+
+
+def test_a_folder_alone_is_no_evidence():
+    own = "\n".join(code(5, 12))
+    assert judge("/r/deps/a.py", own) is None
+    assert judge("/r/deps/a.py", "# Copyright the kite authors, licensed under MIT\n" + own) == "vendored"
