@@ -8,6 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from codeloom import pipeline
 from codeloom.functions import paths, text as tx
 from codeloom.operators import clones, control, ranking, smells, vectors
 from codeloom.sources import extract
@@ -195,3 +196,24 @@ def test_extractors():
         ("json", '{"a": {"b": 1}}', {("PROPERTY", "a", None), ("PROPERTY", "b", None)}),
     ):
         assert want <= kinds(text, lang), (lang, kinds(text, lang))
+
+
+def test_embedders(spark):
+    for text in ("", "a", "hello world", "x" * 20):
+        want = [0.0] * 8
+        for i, c in enumerate(text):
+            want[i % 8] = ord(c) / 255
+        got = one(spark, pipeline.CharacterEmbedder(8).embed(F.lit(text)))
+        assert got == (want if text else None)
+    both = pipeline.FallbackEmbedder(pipeline.CharacterEmbedder(8), pipeline.StaticEmbedder(8))
+    assert one(spark, both.embed(F.lit(""))) == [0.0] * 8
+    assert abs(sum(v * v for v in one(spark, pipeline.StaticEmbedder(16).embed(F.lit("alpha beta gamma")))) - 1) < 1e-9
+
+
+def test_block_search_leaves_out_the_own_label(spark):
+    rows = [(i, [float(i % 3), 1.0], "ab"[i % 2] if i % 5 else None) for i in range(20)]
+    base = spark.createDataFrame(rows, "id long, v array<float>, label string")
+    ask = base.selectExpr("id as query", "v", "label").where("query < 4")
+    label = dict((r[0], r[2]) for r in rows)
+    found = vectors.top_k(vectors.compared(ask, base, 3), "query", "score", "id", 3).collect()
+    assert len(found) == 12 and all(label[r["query"]] is None or label[r["query"]] != label[r["id"]] for r in found)
