@@ -40,11 +40,12 @@ CONTAINMENT, OWNED_AT_LEAST = 0.75, 0.25
 #: ... and at least so many lines are shared with that owner.
 SHARED_LINES = 4
 
-# Directories that package managers and people keep foreign code in.
+# Directories that package managers and people keep foreign code in, and names that may also mean the repository's own.
 VENDOR_DIRS = frozenset(
     "vendor vendors vendored _vendor node_modules bower_components third_party third-party thirdparty 3rdparty "
-    "site-packages dist-packages deps external externals extern Pods Carthage jspm_packages".split()
+    "site-packages dist-packages Pods Carthage jspm_packages".split()
 )
+LOOSE_DIRS = frozenset("deps external externals extern".split())
 
 # How tools say that they wrote a file, in English, German, French and Spanish.
 DECLARED = re.compile(
@@ -185,8 +186,9 @@ def judge(path: str, source: str) -> str | None:
             return "data"
     elif is_data(source):
         return "data"
-    # A folder's name alone is no evidence; with a notice of rights at the head it is.
-    if UPSTREAM.search(head) or (LEGAL.search(head) and not VENDOR_DIRS.isdisjoint(path.split("/")[:-1])):
+    folders = path.split("/")[:-1]
+    # The name of a loose folder is no evidence without a notice of rights at the head.
+    if UPSTREAM.search(head) or not VENDOR_DIRS.isdisjoint(folders) or (LEGAL.search(head) and not LOOSE_DIRS.isdisjoint(folders)):
         return "vendored"
     return None
 

@@ -68,7 +68,8 @@ def test_defined_results(spark):
     assert flag_files(files.union(odd)).count() == 0 and flag_files(files.limit(0)).count() == 0
 
 
-def test_a_folder_alone_is_no_evidence():
+def test_a_loose_folder_alone_is_no_evidence():
     own = "\n".join(code(5, 12))
     assert judge("/r/deps/a.py", own) is None
     assert judge("/r/deps/a.py", "# Copyright the kite authors, licensed under MIT\n" + own) == "vendored"
+    assert judge("/r/node_modules/kite/a.py", own) == "vendored"
