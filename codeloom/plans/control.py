@@ -355,7 +355,7 @@ def parameter_escaping(w: Workspace):
     return src.query_tables(w.graph, "SELECT id FROM {nodes} WHERE repository_path = :repo AND name = :name", repo=HOT, name="it's; DROP")
 
 
-@query("SELECT id, json_object('id', id, 'name', name) AS row_json FROM n WHERE kind = 'REPOSITORY'")
+@query("SELECT id, json_object('id', id, 'name', name)::VARCHAR AS row_json FROM n WHERE kind = 'REPOSITORY'")
 def output_json(w: Workspace):
     return w.graph.of_kind("REPOSITORY").select("id", F.to_json(F.struct("id", "name")).alias("row_json"))
 
