@@ -249,8 +249,8 @@ def containment(inspected: DataFrame) -> DataFrame:
         .where((F.col("n") <= RARE_CONTEXTS) | (F.col("n") <= CONTEXT_SHARE * F.col("held")))
         .select("h", F.when(F.col("lo") != F.col("hi"), F.col("owner")).alias("owner"))
     )
-    held = cut(lines.select("file", "h").join(index, "h"))
-    owned = held.groupBy("file", "owner").agg(F.count("*").alias("n"))
+    held = lines.select("file", "h").join(index, "h")
+    owned = cut(held.groupBy("file", "owner").agg(F.count("*").alias("n")))  # few rows a file; its lines are not kept
     counted = owned.groupBy("file").agg(
         F.sum("n").alias("rare"),
         F.sum(F.when(F.col("owner").isNotNull(), F.col("n")).otherwise(0)).alias("shared"),
@@ -258,11 +258,14 @@ def containment(inspected: DataFrame) -> DataFrame:
     )
     open_ = counted.where((F.col("most") < OWNED * F.col("rare")) & (F.col("shared") >= OWNED * F.col("rare")) & (F.col("shared") >= SHARED_LINES)).select("file")
     candidates = owned.where(F.col("owner").isNotNull() & (F.col("owner") != F.col("file"))).join(open_, "file", "left_semi").select("file", "owner")
-    theirs = held.select(F.col("file").alias("owner"), "h")
-    exact = (
-        held.select("file", "h").join(candidates, "file").join(theirs, ["owner", "h"])
-        .groupBy("file", "owner").agg(F.count("*").alias("n")).groupBy("file").agg(F.max("n").alias("exact"))
-    )
+    exact = owned.where(F.lit(False)).select("file", F.col("n").alias("exact"))
+    if not candidates.isEmpty():  # the lines of these files are read again
+        both = held.join(candidates.select(F.explode(F.array("file", "owner")).alias("file")).distinct(), "file", "left_semi").select("file", "h")
+        theirs = both.select(F.col("file").alias("owner"), "h")
+        exact = (
+            both.join(candidates, "file").join(theirs, ["owner", "h"])
+            .groupBy("file", "owner").agg(F.count("*").alias("n")).groupBy("file").agg(F.max("n").alias("exact"))
+        )
     return (
         counted.join(exact, "file", "left")
         .select("file", "rare", "shared", F.greatest("most", F.coalesce("exact", F.lit(0))).alias("owner_shared"))
