@@ -48,7 +48,8 @@ def original(kinds: str, folded: str, at: int) -> int:
 def check(source: str, language: str) -> list[tuple[int, str]] | None:
     """``(line, message)`` of every error, lexical ones too, that recovery leads to, in order.
 
-    None for a language without a parser; no error in an empty source.
+    None for a language without a parser and for a source that its parser came to
+    a limit of its own with; no error in an empty source.
     """
     text = source.removeprefix("\ufeff").replace("\r\n", "\n")
     if language not in PARSERS and language not in OWN:
@@ -107,7 +108,7 @@ def _judge(cols: dict[str, list]) -> dict[str, list]:
 def judged_files(deferred: DataFrame, nodes: DataFrame) -> DataFrame:
     """``path, repository_path, language, errors`` of the deferred files that have a source.
 
-    ``errors`` is null where no parser knows the language, empty where the source
+    ``errors`` is null where no parser can judge the source, empty where the source
     is valid.  Of several sources of a path those count that a record's hash
     names, if any; null paths and sources give no row; repeated rows count once.
     """
