@@ -25,6 +25,8 @@ LEVELS = 50
 _LIMIT = re.compile(r"too many nested parentheses|too many levels of indentation|nested too deeply|too many nested f-strings")
 _TOKEN = re.compile(r"(?:[rRbBuUfFtT]{1,2}(?=['\"]))?(?P<quote>\"\"\"|'''|\"|')|#[^\n]*|\\\n|\n|[^\S\n]+|(?P<word>\w+)|\*\*=?|(?P<open>[(\[{])|(?P<close>[)\]}])|.", re.S)
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
+# What stands inside a bracket that is no target, one of assignments, of deletions too, of augmented assignments too.
+_INSIDES = {"(": ("0", "*_,", "_,", "_"), "[": ("0", "*_", "_")}
 _WORDS = frozenset(keyword.kwlist) - {"True", "False", "None"}
 
 
@@ -55,27 +57,59 @@ def parse(text: str, mode: str = "exec") -> tuple[int, str] | None:
 
 def string_end(text: str, at: int, prefix: str, quote: str) -> int:
     """Where the string ends whose text starts at ``at``; expressions of a formatted one may hold its own quotes."""
-    formatted = "f" in prefix.lower() or "t" in prefix.lower()
+    formatted, raw = not {"f", "t"}.isdisjoint(prefix.lower()), "r" in prefix.lower()
     while at < len(text):
         if text.startswith(quote, at):
             return at + len(quote)
         if text[at] == "\\":
-            at += 2
+            at = escape_end(text, at, raw) if formatted else at + 2
         elif text[at] == "\n" and len(quote) == 1:
             return at
         elif formatted and text[at] == "{" and not text.startswith("{{", at):
-            depth, at = 1, at + 1
-            while depth and at < len(text):
-                m = _TOKEN.match(text, at)
-                if len(quote) == 1 and m.group() == "\n":
-                    return at
-                at = string_end(text, m.end(), m.group()[: -len(m["quote"])], m["quote"]) if m["quote"] else m.end()
-                depth += (m.group() == "{") - (m.group() == "}")
+            at = field_end(text, at + 1, raw, quote)
         else:
             at += 2 if formatted and text.startswith("{{", at) else 1
+    return min(at, len(text))
+
+
+def escape_end(text: str, at: int, raw: bool) -> int:
+    """Where the escape at ``at`` of a formatted string ends; brackets after a backslash keep their meaning, but for named characters."""
+    if not raw and text.startswith("\\N{", at):
+        return at + 3
+    return at + (1 if text[at + 1 : at + 2] in ("{", "}") else 2)
+
+
+def field_end(text: str, at: int, raw: bool, quote: str) -> int:
+    """Where the replacement field ends whose expression starts at ``at``; its format is text in which further fields may stand."""
+    depth, formatting = 0, False
+    while at < len(text):
+        if not formatting:
+            m = _TOKEN.match(text, at)
+            t = m.group()
+            at = string_end(text, m.end(), t[: -len(m["quote"])], m["quote"]) if m["quote"] else m.end()
+            if t == "}" and not depth:
+                return at
+            formatting = t == ":" and not depth
+            depth += bool(m["open"]) - bool(m["close"])
+        elif text.startswith(quote, at):
+            return at
+        elif text[at] == "\\":
+            at = escape_end(text, at, raw)
+        elif text[at] == "{":
+            at = field_end(text, at + 1, raw, quote)
+        elif text[at] == "}":
+            return at + 1
+        else:
+            formatting = text[at] != "\n" or len(quote) > 1  # a line's end ends the format of a short string
+            at += 1
     return at
 
 
+def target(text: str) -> int:
+    """In how many of the ways, from assignment to augmented one, a bracket may be a target."""
+    return sum(parse(x) is None for x in (f"{text} = 0", f"del {text}", f"{text} += 0"))
+
+
 def flattened(text: str) -> tuple[str, list[tuple[int, str]]]:
     """The text with the same lines but few open brackets and levels, as valid as before, and the errors of the parts taken out."""
     errors: list[tuple[int, str]] = []
@@ -105,7 +139,8 @@ def flattened(text: str) -> tuple[str, list[tuple[int, str]]]:
                 wrong = parse(("f" if trailer else "") + begin + inner + t, "eval")
                 if wrong:
                     errors.append((first + wrong[0] - 1, wrong[1]))
-                inner = "_" + "\n" * inner.count("\n")
+                inside = "_" if wrong or trailer or begin == "{" else _INSIDES[begin][target(begin + inner + t)]
+                inner = inside + "\n" * inner.count("\n")
             parts = outer
             parts.append(begin + inner + t)
             operand, signs, negated = True, 0, False
@@ -141,7 +176,7 @@ def lowered(parts: list[str], heads: list[tuple[int, int]], errors: list[tuple[i
             start = None
         if indent > levels[-1]:
             levels.append(indent)
-            if len(levels) > LEVELS and not start:
+            if len(levels) > LEVELS and not start and parts[at] != "case":  # cases stand in no other block, their bodies are taken out
                 start = (at - 1, line, len(levels))
         if parts[at] == "elif" and chained.get(indent):
             parts[at] = "if  "

@@ -108,7 +108,7 @@ def _judge(cols: dict[str, list]) -> dict[str, list]:
 def judged_files(deferred: DataFrame, nodes: DataFrame) -> DataFrame:
     """``path, repository_path, language, errors`` of the deferred files that have a source.
 
-    ``errors`` is null where no parser can judge the source, empty where the source
+    ``errors`` is null where no parser can judge a source, empty where every source
     is valid.  Of several sources of a path those count that a record's hash
     names, if any; null paths and sources give no row; repeated rows count once.
     """
@@ -126,8 +126,11 @@ def judged_files(deferred: DataFrame, nodes: DataFrame) -> DataFrame:
         .select("path", "repository_path", "language", F.expr("filter(all, x -> x.current = known)").alias("kept"))
         .select(
             "path", "repository_path", "language",
-            F.expr("if(exists(kept, x -> x.errors is not null), flatten(transform(filter(kept, x -> x.errors is not null), x -> x.errors)), null)").alias("errors"),
+            F.expr("flatten(transform(filter(kept, x -> x.errors is not null), x -> x.errors))").alias("errors"),
+            F.expr("exists(kept, x -> x.errors is null)").alias("open"),
         )
+        # A source without a judgement leaves its path open, unless another one is known to be wrong.
+        .select("path", "repository_path", "language", F.expr("if(open and size(errors) = 0, null, errors)").alias("errors"))
     )
 
 

@@ -1,9 +1,11 @@
 """Validity of sources: languages, error collection, and the operator over tables."""
 
+import ast
 import hashlib
 from datetime import datetime
+from pathlib import Path
 
-from codeloom.llm.syntax import validity
+from codeloom.llm.syntax import python, validity
 from codeloom.llm.common import LANGUAGES
 
 GO = 'package a\n\nimport "fmt"\n\ntype T[K comparable] struct {\n\ta, b int\n\tM map[string][]K\n}\n\nfunc (t *T[K]) F(x int, ys ...string) (n int, err error) {\n\tfor i, y := range ys {\n\t\tif v, ok := t.M[y]; ok && len(v) > i {\n\t\t\tfmt.Println(T[int]{a: 1, b: 2}, func() {}, v[1:])\n\t\t}\n\t}\n\tswitch z := any(x).(type) {\n\tcase int, string:\n\t\t_ = z\n\tdefault:\n\t\treturn\n\t}\n\treturn x, nil\n}\n'
@@ -206,3 +208,40 @@ def test_operator(spark):
     assert sorted(r.path for r in validity.invalid_files(deferred, nodes).collect()) == ["/r/a.json", "/r/d.rs"]
     rates = {r.language: (r.files, r.unjudged, r.invalid, r.rate) for r in validity.rates(deferred, nodes).collect()}
     assert rates == {"json": (2, 0, 1, 0.5), "python": (1, 0, 0, 0.0), "rust": (1, 0, 1, 1.0)}
+
+
+def nested(levels: int, last: str) -> str:
+    return "".join("    " * i + f"if a{i}:\n" for i in range(levels)) + "    " * levels + last + "\n"
+
+
+def test_limits_of_the_parser_are_no_errors():
+    deep = lambda inner, after="": "(" * 300 + inner + ")" * 300 + after + "\n"
+    match = "match x:\n" + "    " * 51 + "case 1:\n" + "".join("    " * (52 + i) + f"if b{i}:\n" for i in range(60)) + "    " * 112 + "pass"
+    valid = ["x = " + deep("1"), nested(150, "pass"), nested(50, match), "x = " + "9" * 5000 + "\n", "x = " + "-" * 10000 + "1\n", "x = a" + ".b" * 100_000 + "\n"]
+    valid += ["x = " + deep("f\"{a['b']:#>{w}}{c:#x}{d:'^9}\\{e[\"f\"]}\""), deep("a.b", " += 1"), deep("a, [b, *c]", " = d"), "del " + deep("a, b")]
+    for source in valid:
+        assert validity.check(source, "python") == [], source[:40]
+    wrong = {deep("1 1"): 1, "\n" + deep("1")[:-2]: 2, nested(150, "x = = 1"): 151, "x = " + deep("1") + "y = = 2\n": 2, deep("f()", " = 1"): 1, deep("a, b", " += 1"): 1, "del " + deep("a, *b"): 1}
+    for source, line in wrong.items():
+        assert line in [n for n, _ in validity.check(source, "python")], source[:40]
+
+
+def test_flattened_sources_are_as_valid(monkeypatch):
+    monkeypatch.setattr(python, "LEVELS", 2)
+    for path in [*Path(ast.__file__).parent.glob("*.py")][:150]:
+        rest, found = python.flattened(path.read_text(encoding="utf-8"))
+        assert not found and python.parse(rest) is None, path
+
+
+def test_what_is_not_judged_is_not_valid(spark):
+    beyond = "x = " + "lambda: " * 20_000 + "1\n"
+    assert validity.check(beyond, "python") is None
+    assert [n for n, _ in validity.check(beyond + "y = = 2\n", "python")] == [2]
+    rows = [("FILE", "/r/a.py", beyond), ("FILE", "/r/b.py", beyond), ("FILE", "/r/b.py", "x = 1\n"), ("FILE", "/r/c.py", beyond), ("FILE", "/r/c.py", "x = =\n")]
+    nodes = spark.createDataFrame(rows, "kind string, path string, source string")
+    deferred = spark.createDataFrame(
+        [(f"/r/{x}.py", "python", "old", "/r", None, None) for x in "abc"],
+        "path string, language string, content_hash string, repository_path string, spilled_at timestamp, written_at timestamp",
+    )
+    assert [r.path for r in validity.invalid_files(deferred, nodes).collect()] == ["/r/c.py"]
+    assert [(r.files, r.unjudged, r.invalid, r.rate) for r in validity.rates(deferred, nodes).collect()] == [(3, 2, 1, 1.0)]
