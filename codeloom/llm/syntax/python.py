@@ -22,7 +22,7 @@ _START = re.compile(r"^(?!(?:else|elif|except|finally)\b)[^\W\d]|^@", re.M)
 LEVELS = 50
 
 # Messages of the parser about its own limits.
-_LIMIT = re.compile(r"too many nested parentheses|too many levels of indentation|nested too deeply|too many nested f-strings")
+_LIMIT = re.compile(r"too many nested parentheses|too many levels of indentation|too many nested f-strings")
 _TOKEN = re.compile(r"(?:[rRbBuUfFtT]{1,2}(?=['\"]))?(?P<quote>\"\"\"|'''|\"|')|#[^\n]*|\\\n|\n|[^\S\n]+|(?P<word>\w+)|\*\*=?|(?P<open>[(\[{])|(?P<close>[)\]}])|.", re.S)
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 # What stands inside a bracket that is no target, one of assignments, of deletions too, of augmented assignments too.

@@ -226,6 +226,11 @@ def test_limits_of_the_parser_are_no_errors():
         assert line in [n for n, _ in validity.check(source, "python")], source[:40]
 
 
+def test_limits_of_the_language_are_errors():
+    assert validity.check("x = f'{a:{b:{c}}}'\n", "python") == []
+    assert [n for n, _ in validity.check("\nx = f'{a:{b:{c:{d}}}}'\n", "python")] == [2]
+
+
 def test_flattened_sources_are_as_valid(monkeypatch):
     monkeypatch.setattr(python, "LEVELS", 2)
     for path in [*Path(ast.__file__).parent.glob("*.py")][:150]:
